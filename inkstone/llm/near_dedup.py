@@ -114,17 +114,37 @@ def components(pairs: DataFrame) -> DataFrame:
 def groups(documents: DataFrame, radius: int = 24) -> DataFrame:
     """(doc_id, group_id, group_size, keep) for every row of documents.
 
-    group_id is the least doc_id of the document's group of near duplicates, and keep is true for that document alone.
-    Exact copies have equal fingerprints and always share a group. A text without a word (null, empty, punctuation only) is
-    never a duplicate: group_id is its own doc_id. Repeated rows with one doc_id are in one group, and the first of them
-    stays. A null doc_id is a group of its own with null group_id and is kept. Case and punctuation don't count.
+    group_id is the least doc_id of the document's group of near duplicates, and keep is true for one row of the group,
+    which has that doc_id. Exact copies have equal fingerprints and always share a group. Case and punctuation don't
+    count. A text without a word (null, empty, punctuation only) is a duplicate of nothing: group_id is its own doc_id.
+    All rows with one doc_id are in one group, whatever their texts. A row with a null doc_id is a group of its own, has
+    a null group_id and is kept. An empty table gives no rows. Further columns are ignored.
     """
-    prints = checkpointed(fingerprints(documents))
+    prints = checkpointed(fingerprints(documents).withColumn("row", F.monotonically_increasing_id()))
     full = prints.where("f0 IS NOT NULL AND doc_id IS NOT NULL")
     nodes = checkpointed(full.groupBy("f0", "f1", "f2").agg(F.min("doc_id").alias("node"), F.min("weak").alias("weak")))
-    merged = components(near_pairs(nodes, radius))
+    owners = full.select("doc_id", "f0", "f1", "f2").join(nodes.drop("weak"), ["f0", "f1", "f2"])
+    repeated = owners.groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("bs")).where("size(bs) > 1").select("a", F.explode("bs").alias("b")).where("a != b")
+    merged = components(near_pairs(nodes, radius).select("a", "b").unionByName(repeated))
     labels = nodes.join(merged, "node", "left").select("f0", "f1", "f2", F.coalesce("label", "node").alias("label"))
-    found = prints.join(labels, ["f0", "f1", "f2"], "left").select("doc_id", F.coalesce("label", "doc_id").alias("group_id"))
-    sizes = found.groupBy("group_id").agg(F.count("*").alias("group_size"))
-    out = found.join(sizes, F.col("group_id") == sizes["group_id"], "left").select("doc_id", found["group_id"], F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"))
-    return out.withColumn("keep", F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(True)))
+    found = prints.join(labels, ["f0", "f1", "f2"], "left").select("doc_id", "row", F.coalesce("label", "doc_id").alias("group_id"))
+    sizes = found.groupBy(F.col("group_id").alias("of")).agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "row"))["row"].alias("first"))
+    both = found.join(sizes, F.col("group_id") == F.col("of"), "left")
+    return both.select("doc_id", "group_id", F.coalesce("size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("row") == F.col("first"), F.lit(True)).alias("keep"))
+
+
+def filtered(documents: DataFrame, radius: int = 24) -> DataFrame:
+    """The rows of documents that groups() keeps, with all their columns; one row of each group.
+
+    What goes is found on fingerprints alone; texts are moved once, to drop them. Of rows that share a doc_id one stays,
+    any of them if their texts differ.
+    """
+    of = checkpointed(groups(documents, radius))
+    gone = of.where("NOT keep").select(F.col("doc_id").alias("gone_id")).join(of.where("keep").select(F.col("doc_id").alias("gone_id")), "gone_id", "left_anti").distinct()
+    left = documents.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    again = of.where("keep AND doc_id = group_id").select(F.col("doc_id").alias("again_id")).join(of.where("NOT keep").select(F.col("doc_id").alias("again_id")).distinct(), "again_id", "left_semi")
+    if again.isEmpty():
+        return left
+    again = checkpointed(again)
+    once = left.join(again, F.col("doc_id") == F.col("again_id"), "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, F.col("doc_id") == F.col("again_id"), "left_anti").unionByName(once)

@@ -207,8 +207,6 @@ class Arrays:
         return out
 
 
-
-
 def log_losses(documents: DataFrame, table: DataFrame, max_broadcast: int = 6_000_000) -> DataFrame:
     """(doc_id, lang, n_grams, loss): mean negative log probability of each document's symbols, 5 decimals.
 
@@ -311,3 +309,15 @@ def rate(documents: DataFrame) -> DataFrame:
     counts = checkpointed(count(documents))
     losses = checkpointed(log_losses(documents, checkpointed(model(counts))))
     return judged(losses, bands(losses))
+
+
+def filtered(documents: DataFrame) -> DataFrame:
+    """The rows of documents that rate() keeps, with all their columns.
+
+    Texts are moved once, to drop the rejected rows, or not at all where these are few enough to be broadcast. Rows are told
+    by a hash of doc_id, lang and text, on which the verdict depends.
+    """
+    key = F.xxhash64(*fixed("doc_id", "lang", "text"))
+    rated = rate(documents.select(key.alias("doc_id"), *fixed("lang", "text")))
+    gone = rated.where("NOT keep").select(F.col("doc_id").alias("__rejected")).distinct()
+    return documents.join(gone, key == F.col("__rejected"), "left_anti")
