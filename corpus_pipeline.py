@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
 from inkstone import attach
@@ -24,3 +26,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality_classifier", quality_classifier), ("quality_rules", quality_rules)]
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage in turn over all documents; each result is written as Parquet and read again by the next.
+
+    The files lie in the folder that spark.checkpoint.dir names, else under the warehouse directory.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{root.rstrip('/')}/pipeline-{uuid4().hex}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

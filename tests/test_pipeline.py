@@ -1,0 +1,29 @@
+import __spark_entry__
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_queries_can_be_read():
+    names = __spark_entry__.queries()
+    assert {"op1_simhash_near_dedup", "op5_quality_classifier", "op6_quality_rules", "pipeline"} <= set(names)
+    assert all(map(callable, names.values()))
+
+
+def test_run_applies_every_stage_in_turn(spark, monkeypatch):
+    seen = []
+
+    def stage(name):
+        def apply(spark, docs, sf_dir):
+            seen.append((name, docs.count(), [c for c in docs.columns if c[0] == "_"]))
+            return docs.withColumn(f"_{name}", F.lit(1)).where(F.col("doc_id") % 2 == 0)
+
+        return apply
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage("one")), ("two", stage("two"))])
+    all_docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    even = all_docs.where("doc_id % 2 = 0").count()
+    out = corpus_pipeline.run(spark, SMALL)
+    assert seen == [("one", all_docs.count(), []), ("two", even, ["_one"])]
+    assert out.count() == even and {"_one", "_two"} <= set(out.columns)
