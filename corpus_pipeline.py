@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from inkstone import attach
-from inkstone.llm import near_dedup, perplexity, quality
+from inkstone.llm import mixing, near_dedup, packing, perplexity, quality
 from inkstone.llm.common import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,7 +24,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return perplexity.filtered(docs).select(*COLUMNS)
 
 
-STAGES = [("quality_classifier", quality_classifier), ("quality_rules", quality_rules)]
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup.filtered(docs).select(*COLUMNS)
+
+
+def curriculum_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its position in the mixture."""
+    return mixing.mixed(docs).select(*COLUMNS, "n_tokens", "weight", "position")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences of all documents."""
+    attach(spark)
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("curriculum_mixing", curriculum_mixing),
+    ("best_fit_packing", best_fit_packing),
+]
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import attach
-from . import near_dedup, perplexity, quality
+from . import mixing, near_dedup, packing, perplexity, quality
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(attach(spark), sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(attach(spark), sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark = attach(spark)
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -24,8 +28,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.rate(table(attach(spark), sf_dir, "documents"))
 
 
+def op10_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(attach(spark), sf_dir, "documents")).select("doc_id", "source", "n_tokens", "weight", "position")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op5_quality_classifier, op6_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_best_fit_packing, op5_quality_classifier, op6_quality_rules, op10_curriculum_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

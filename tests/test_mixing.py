@@ -1,0 +1,29 @@
+from collections import Counter, defaultdict
+
+from inkstone.llm import mixing
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_mixed_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, None, "en", None, 0), (None, "x y", "en", None, 3)], docs.schema))
+    alpha = 0.7
+    got = sorted(mixing.mixed(docs, alpha).collect(), key=lambda r: r["position"])
+    rows = docs.collect()
+    assert [r["position"] for r in got] == list(range(1, len(rows) + 1))
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r["doc_id"], r["text"]) for r in rows)
+    total = defaultdict(int)
+    for r in rows:
+        total[r["source"]] += len((r["text"] or "").split())
+    share = {s: max(n, 1) ** alpha for s, n in total.items()}
+    weight = {s: x / sum(share.values()) for s, x in share.items()}
+    sent, last, longest = defaultdict(int), 0.0, defaultdict(int)
+    for r in got:
+        n = len((r["text"] or "").split())
+        assert r["n_tokens"] == n >= longest[r["source"]] and abs(r["weight"] - weight[r["source"]]) < 1e-8
+        longest[r["source"]] = n
+        sent[r["source"]] += n
+        due = sent[r["source"]] / weight[r["source"]]
+        assert due >= last - 1e-5
+        last = due

@@ -27,3 +27,16 @@ def test_run_applies_every_stage_in_turn(spark, monkeypatch):
     out = corpus_pipeline.run(spark, SMALL)
     assert seen == [("one", all_docs.count(), []), ("two", even, ["_one"])]
     assert out.count() == even and {"_one", "_two"} <= set(out.columns)
+
+
+def test_pipeline_has_every_stage_and_packs_what_is_left(spark):
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "quality_rules", "simhash_near_dedup", "curriculum_mixing", "best_fit_packing"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SMALL)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+    left = docs.select("position", "text").collect()
+    assert sorted(r["position"] for r in left) == list(range(1, len(left) + 1))
+    assert sum(r["n_tokens"] for r in got) == sum(len(r["text"].split()) for r in left)
+    assert {p["position"] for r in got for p in r["pieces"]} == {r["position"] for r in left if r["text"].split()}
