@@ -4,6 +4,9 @@ Spark counts the character 5-grams of all documents of a language; lower orders,
 and back-off weights follow from that table with joins and aggregates. The model is kept as arrays sorted by a
 64-bit hash of the n-gram. A document is rejected if its perplexity lies outside its language's band.
 
+Models are cross-fitted: a hash of its text puts each document in one of two folds, and it is scored by its
+language's model of the other fold, so no document and no exact copy of it is in the model that it is held against.
+
 Symbols are code points; those from 2048 on share 2048 classes by a hash, so that five symbols of 12 bits make
 one integer. Each text is preceded by four start symbols and followed by one end symbol.
 """
@@ -267,6 +270,8 @@ def _joined_losses(rows: DataFrame, table: DataFrame) -> DataFrame:
         g = F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1))
         at = table.where(F.col("k") == k).select("lang", F.col("gram").alias("g"), "logp")
         both = left.withColumn("g", g).join(at, ["lang", "g"], "left")
+        if not k:  # a language without a model
+            both = both.withColumn("logp", F.coalesce("logp", F.lit(-float(np.log(1 << BITS)))))
         found.append(both.where("logp IS NOT NULL").select("row", "doc_id", "lang", "n", (F.col("add") + F.col("logp")).alias("logp")))
         left = both.where("logp IS NULL").drop("logp", "g")
         if k > 1:
@@ -278,36 +283,52 @@ def _joined_losses(rows: DataFrame, table: DataFrame) -> DataFrame:
     return total.groupBy("row", "doc_id", "lang").agg(F.sum("n").alias("n_grams"), F.round(-F.sum(F.col("n") * F.col("logp")) / F.sum("n"), 5).alias("loss")).drop("row")
 
 
-def bands(losses: DataFrame, width: float = 6.0, floor: float = 0.08) -> DataFrame:
-    """(lang, low, high): each language's band of mean log losses for long texts, from all its documents.
+def held_out_losses(documents: DataFrame) -> DataFrame:
+    """log_losses of each document by the model of its language's documents in the other fold.
+
+    Where the other fold has none, every document of the language has the loss of a symbol out of all, log(4096).
+    """
+    rows = documents.select(*fixed("doc_id", "lang", "text")).toDF("doc_id", "lang", "text")
+    fold = F.xxhash64("text").bitwiseAND(F.lit(1))
+    label = lambda f: F.concat(F.coalesce("lang", F.lit(NO_LANGUAGE)), F.lit("|"), f.cast("string"))
+    table = checkpointed(model(checkpointed(count(rows.withColumn("lang", label(fold))))))
+    losses = log_losses(rows.withColumn("lang", label(1 - fold)), table)
+    return losses.withColumn("lang", F.expr("left(lang, length(lang) - 2)"))
+
+
+def bands(losses: DataFrame, width: float = 6.0, floor: float = 0.08, spread: float = 3.0) -> DataFrame:
+    """(lang, low, high, slack): each language's band of mean log losses for long texts, from all its documents.
 
     The middle is the median, and each half-width is `width` times the distance between the median and the quartile
     on that side, `floor` at least. Documents with under 200 symbols count only where a language has no longer ones.
+    slack is `spread` standard deviations of one symbol's loss, as estimated from the median of
+    |loss - middle| * sqrt(n_grams) over all the language's documents.
     """
     long = F.when(F.col("n_grams") >= 200, F.col("loss"))
     q = lambda p: F.coalesce(F.percentile_approx(long, F.lit(p), F.lit(10000)), F.percentile_approx("loss", F.lit(p), F.lit(10000)))
     found = losses.groupBy("lang").agg(q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"))
+    off = losses.join(F.broadcast(found), "lang").groupBy("lang").agg(F.percentile_approx(F.abs(F.col("loss") - F.col("q2")) * F.sqrt("n_grams"), F.lit(0.5), F.lit(10000)).alias("off"))
     half = lambda x: F.greatest(F.lit(width) * x, F.lit(floor))
-    return found.select("lang", (F.col("q2") - half(F.col("q2") - F.col("q1"))).alias("low"), (F.col("q2") + half(F.col("q3") - F.col("q2"))).alias("high"))
+    return found.join(off, "lang").select("lang", (F.col("q2") - half(F.col("q2") - F.col("q1"))).alias("low"), (F.col("q2") + half(F.col("q3") - F.col("q2"))).alias("high"), (F.lit(spread * 1.4826) * F.col("off")).alias("slack"))
 
 
-def judged(losses: DataFrame, limits: DataFrame, slack: float = 6.0) -> DataFrame:
+def judged(losses: DataFrame, limits: DataFrame) -> DataFrame:
     """(doc_id, lang, n_grams, perplexity, keep): a document is kept inside its language's band.
 
     The band is widened by slack / sqrt(n_grams) on both sides, since the mean over a short text varies more.
     """
-    more = F.lit(slack) / F.sqrt("n_grams")
+    more = F.col("slack") / F.sqrt("n_grams")
     return losses.join(F.broadcast(limits), "lang").select("doc_id", "lang", "n_grams", F.round(F.exp("loss"), 4).alias("perplexity"), ((F.col("loss") >= F.col("low") - more) & (F.col("loss") <= F.col("high") + more)).alias("keep"))
 
 
 def rate(documents: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_grams, perplexity, keep) of every document, by a model of all of them.
+    """(doc_id, lang, n_grams, perplexity, keep) of every document, by a model of the documents of the other fold.
 
     A null language counts as its own, "und". A null or empty text has one symbol, its end. Repeated rows are counted and
-    judged apiece. An empty table gives no rows. Further columns are ignored.
+    judged apiece. A language whose documents are all in one fold, as where it has only one, offers nothing to hold them
+    against, and they are kept. An empty table gives no rows. Further columns are ignored.
     """
-    counts = checkpointed(count(documents))
-    losses = checkpointed(log_losses(documents, checkpointed(model(counts))))
+    losses = checkpointed(held_out_losses(documents))
     return judged(losses, bands(losses))
 
 

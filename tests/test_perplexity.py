@@ -1,0 +1,34 @@
+import random
+import string
+
+from inkstone.llm import perplexity
+from pyspark.sql import functions as F
+
+
+def planted():
+    draw = random.Random(5)
+    of = lambda alphabet, n: "".join(draw.choice(alphabet) for _ in range(n))
+    ascii = "".join(map(chr, range(33, 127)))
+    return [("hex", of("0123456789abcdef", 3000)), ("ascii", of(ascii, 300)), ("letters", of(string.ascii_lowercase, 300)), ("shouting", ("BUY NOW!!! CLICK HERE $$$ " * 9)[:200])]
+
+
+def test_gibberish_does_not_vouch_for_itself(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text").where("lang = 'en'")
+    junk = [(-1 - i, "en", text) for i, (_, text) in enumerate(planted())]
+    rated = perplexity.rate(docs.unionByName(spark.createDataFrame(junk, docs.schema))).collect()
+    kept = {r["doc_id"]: r["keep"] for r in rated}
+    assert not any(kept[d] for d, _, _ in junk)
+    assert sum(kept[d] for d in kept if d >= 0) > 0.93 * docs.count()
+
+
+def test_both_ways_of_scoring_agree_without_a_model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text").where("lang = 'de'").limit(12)
+    own = docs.withColumn("lang", F.lit("de")).unionByName(spark.createDataFrame([(-1, "xx", "abc")], docs.schema))
+    table = perplexity.checkpointed(perplexity.model(perplexity.count(docs)))
+    a, b = ({r["doc_id"]: (r["n_grams"], r["loss"]) for r in perplexity.log_losses(own, table, most).collect()} for most in (6_000_000, 0))
+    assert a.keys() == b.keys() and all(a[d][0] == b[d][0] and abs(a[d][1] - b[d][1]) < 2e-4 for d in a)
+
+
+def test_a_language_with_one_document_is_kept(spark):
+    docs = spark.createDataFrame([(1, "xx", "one text alone"), (2, None, None)], "doc_id long, lang string, text string")
+    assert {(r["doc_id"], r["lang"], r["keep"]) for r in perplexity.rate(docs).collect()} == {(1, "xx", True), (2, "und", True)}
