@@ -1,10 +1,17 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint has 192 bits in six segments of 32. The distinct words of a text vote on each bit with a weight
-that grows with their length. Each segment value of each distinct fingerprint is entered in a table; each
-fingerprint then looks up, in each segment, the values of a small Hamming ball round its own: up to two flips among
-the seven bits on which its vote was closest. Pairs that meet are near duplicates if their complete
-fingerprints differ in at most `radius` bits. Groups are the connected components.
+A fingerprint has 240 bits in twelve segments of 20. Every distinct word of a text votes on each bit with the square root
+of its count. Two fingerprints at most 35 bits apart differ in at most two bits of some segment (12 segments with three or more
+would make 36). So every pair within the radius is found by looking up, for each segment, all values within two flips
+of a fingerprint's own in the table of that segment, and verifying complete distances: nothing is cut off.
+
+A segment's table is spread over tasks by the first bits of the value. A fingerprint is sent to its own part and, as a
+query with as many flips less to spend, to the parts that it reaches by flipping leading bits, of which only the smaller
+values are visited, as the other side of the pair visits the rest. The balls round the remaining bits are enumerated in
+the task, over an array indexed by value. Parts that hold more than `most` fingerprints are split, and what queries them
+is sent to every piece.
+
+Groups are the connected components.
 """
 
 from __future__ import annotations
@@ -14,81 +21,208 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, chunks, fixed, lowered, mix, word_hashes
+from .common import checkpointed, chunks, fixed, lowered, mix, row_key, word_hashes, written
+
+SEGMENTS, WIDTH, FLIPS = 12, 20, 2
+BITS = SEGMENTS * WIDTH
+RADIUS = SEGMENTS * (FLIPS + 1) - 1
+WORDS = 4  # 64-bit integers in a fingerprint
+_BLOCK = 4096
+
 
-SEGMENTS = 6
-WEAK = 7
-_BALL = [(WEAK, WEAK), *((i, WEAK) for i in range(WEAK)), *combinations(range(WEAK), 2)]
-_LENGTH_CAP = 12
+def votes(words: np.ndarray) -> np.ndarray:
+    """256 sums of votes over a text's word hashes; taken a block of distinct words at a time."""
+    h, count = np.unique(words, return_counts=True)
+    weight = np.sqrt(count).astype(np.float32)
+    total = np.zeros(64 * WORDS, np.float64)
+    for lo in range(0, len(h), _BLOCK):
+        own = h[lo : lo + _BLOCK]
+        many = np.stack([own, *(mix(own + np.uint64(0x9E3779B97F4A7C15 * i & 0xFFFFFFFFFFFFFFFF)) for i in (1, 2, 3))], 1)
+        bits = np.unpackbits(many.view(np.uint8), axis=1, bitorder="little")
+        w = weight[lo : lo + _BLOCK]
+        total += 2.0 * (w @ bits) - w.sum(dtype=np.float64)
+    return total
 
 
-def _fingerprints(words: np.ndarray, lengths: np.ndarray, splits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each text three 64-bit integers, and for each of six segments the places of its weakest bits, 5 bits each."""
-    n = len(splits) - 1
-    margin = np.zeros((n, 192), np.float32)
-    for i in range(n):
-        h, first = np.unique(words[splits[i] : splits[i + 1]], return_index=True)
-        if len(h):
-            w = np.minimum(lengths[splits[i] : splits[i + 1]][first], _LENGTH_CAP).astype(np.float32)
-            bits = np.unpackbits(np.stack([h, mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), mix(h + np.uint64(0x1234567))], 1).view(np.uint8), axis=1, bitorder="little")
-            margin[i] = 2 * (w @ bits) - w.sum()
-    prints = np.packbits(margin > 0, axis=1, bitorder="little").view(np.uint64)
-    weak = np.argpartition(np.abs(margin).reshape(n, SEGMENTS, 32), WEAK, axis=2)[:, :, :WEAK].astype(np.int64)
-    return prints, (weak << (5 * np.arange(WEAK))).sum(2)
+def _fingerprints(words: np.ndarray, splits: np.ndarray) -> np.ndarray:
+    """Four 64-bit integers for each text; bits from BITS on are 0."""
+    margin = np.zeros((len(splits) - 1, 64 * WORDS), np.float64)
+    for i in range(len(splits) - 1):
+        if splits[i + 1] > splits[i]:
+            margin[i] = votes(words[splits[i] : splits[i + 1]])
+    margin[:, BITS:] = 0
+    return np.packbits(margin > 0, axis=1, bitorder="little").view(np.uint64)
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, f0, f1, f2, weak): fingerprint of every document; nulls where its text has no word."""
+    """(doc_id, f0 .. f3): fingerprint of every row; nulls where its text has no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in chunks(lowered(batch.column(1))):
-                h, starts, ends, splits = word_hashes(data, offsets)
-                prints, weak = _fingerprints(h, ends - starts, splits)
+                h, _, _, splits = word_hashes(data, offsets)
+                prints = _fingerprints(h, splits).view(np.int64)
                 empty = np.diff(splits) == 0
-                f = [pa.array(prints[:, i].view(np.int64), mask=empty) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *f, pa.ListArray.from_arrays(np.arange(hi - lo + 1, dtype=np.int32) * SEGMENTS, weak.ravel())], ["doc_id", "f0", "f1", "f2", "weak"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(np.ascontiguousarray(prints[:, i]), mask=empty) for i in range(WORDS))], ["doc_id", *(f"f{i}" for i in range(WORDS))])
 
     rows = documents.select(*fixed("doc_id", "text")).toDF("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, f0 long, f1 long, f2 long, weak array<long>")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, f0 long, f1 long, f2 long, f3 long")
+
+
+def segments(prints: np.ndarray) -> np.ndarray:
+    """(n, 12) segment values of (n, 4) fingerprints."""
+    out = np.empty((len(prints), SEGMENTS), np.int64)
+    mask = np.uint64((1 << WIDTH) - 1)
+    for i in range(SEGMENTS):
+        word, shift = divmod(i * WIDTH, 64)
+        x = prints[:, word] >> np.uint64(shift)
+        if shift + WIDTH > 64:
+            x = x | prints[:, word + 1] << np.uint64(64 - shift)
+        out[:, i] = (x & mask).astype(np.int64)
+    return out
+
+
+def ball(width: int, flips: int) -> np.ndarray:
+    """All masks of `width` bits with at most `flips` ones."""
+    return np.array([sum(1 << b for b in c) for n in range(flips + 1) for c in combinations(range(width), n)], np.int64)
+
+
+def _sent(segment: np.ndarray, lead: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(rows, leading bits visited, flips spent) for one segment's values."""
+    own = segment >> (WIDTH - lead)
+    for mask in ball(lead, min(FLIPS, lead)).tolist():
+        to = own ^ mask
+        rows = np.flatnonzero(to < own) if mask else np.arange(len(own))
+        yield rows, to[rows], mask.bit_count()
+
+
+def _pieces(counts: np.ndarray, most: int) -> np.ndarray:
+    return np.maximum(1, -(-counts // most))
+
+
+def _matches(low: np.ndarray, starts: np.ndarray, order: np.ndarray, queries: np.ndarray, masks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(queries' rows, entries' rows) with values that differ by one of the masks, block by block."""
+    step = max(1, (1 << 20) // max(1, len(queries)))
+    for i in range(0, len(masks), step):
+        value = (queries[None, :] ^ masks[i : i + step, None]).ravel()
+        a, n = starts[value], starts[value + 1] - starts[value]
+        hit = np.flatnonzero(n)
+        n, a, q = n[hit], a[hit], hit % len(queries)
+        ends = np.cumsum(n)
+        lo = 0
+        while lo < len(hit):  # at most some four million matches at once, or those of one query
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 22), "right")))
+            m = n[lo:hi]
+            at = np.repeat(a[lo:hi], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            yield np.repeat(q[lo:hi], m), order[at]
+            lo = hi
 
 
-def _segment(i: int) -> Column:
-    return F.shiftrightunsigned(f"f{i // 2}", 32 * (i % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+def _linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least row of each row's component."""
+    label = np.arange(n)
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        left = label[a] != label[b]
+        if not left.any():
+            break
+        a, b = a[left], b[left]
+    while (label[label] != label).any():
+        label = label[label]
+    return label
 
 
-def _distance(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}.f{i}").bitwiseXOR(F.col(f"{b}.f{i}"))) for i in range(3)), F.lit(0))
+def _verify(part: pa.Table, lead: int) -> pa.Table:
+    """Links among the fingerprints of one part of one segment's table, as a spanning forest, and how many each has."""
+    node, spent = part["node"].to_numpy(), part["spent"].to_numpy()
+    prints = np.column_stack([part[f"f{i}"].to_numpy().view(np.uint64) for i in range(WORDS)])
+    segment = int(part["segment"][0].as_py())
+    values = segments(prints)
+    width = WIDTH - lead
+    low = values[:, segment] & ((1 << width) - 1)
+    entries = np.flatnonzero(spent == 0)
+    entries = entries[part["entry"].to_numpy()[entries]]
+    by = np.argsort(low[entries], kind="stable")
+    order = entries[by]
+    starts = np.searchsorted(low[order], np.arange((1 << width) + 1))
+    edges: list[tuple[np.ndarray, np.ndarray]] = []
+    links = np.zeros(len(node), np.int64)
+    label = np.arange(len(node))
+    for s in range(FLIPS + 1):
+        ask = np.flatnonzero(spent == s)
+        if not len(ask) or not len(order):
+            continue
+        for q, e in _matches(low, starts, order, low[ask], ball(width, min(FLIPS - s, width))):
+            q = ask[q]
+            if not s:
+                once = node[q] < node[e]  # each of two entries asks
+                q, e = q[once], e[once]
+            d = np.zeros(len(q), np.int16)
+            for i in range(WORDS):
+                d += np.bitwise_count(prints[q, i] ^ prints[e, i])
+            near = d <= RADIUS
+            q, e = q[near], e[near]
+            for i in range(segment):  # a pair counts where it is met first
+                first = np.bitwise_count(values[q, i] ^ values[e, i]) > FLIPS
+                q, e = q[first], e[first]
+            np.add.at(links, q, 1)
+            np.add.at(links, e, 1)
+            edges.append((q, e))
+            if sum(len(x) for x, _ in edges) > 1 << 22:
+                label = _linked(len(node), *(np.concatenate(x) for x in zip(*edges, (np.arange(len(node)), label), strict=True)))
+                edges = []
+    label = _linked(len(node), *(np.concatenate(x) for x in zip(*edges, (np.arange(len(node)), label), strict=True)))
+    u = np.flatnonzero((label != np.arange(len(node))) | (links > 0))
+    return pa.table({"u": node[u], "v": node[label[u]], "links": links[u]})
 
 
-def near_pairs(nodes: DataFrame, radius: int = 24) -> DataFrame:
-    """(a, b, distance), a < b: distinct fingerprints at most `radius` bits apart that the index finds.
+def links(nodes: DataFrame, most: int = 50_000) -> DataFrame:
+    """(u, v, links): edges u - v that connect what the pairs within RADIUS bits connect, and numbers of such pairs, to be summed for each u.
 
-    nodes: (node, f0, f1, f2, weak), one row a distinct fingerprint. Every node looks itself up; there is no cap on
-    what a key holds. A looked-up key travels with 8 bytes of the fingerprint from other segments, which rule out most
-    chance meetings before the complete fingerprints are fetched.
+    nodes: (node, f0 .. f3), one row a distinct fingerprint. v may be u. `most` fingerprints of a segment's table are
+    held against the queries in one task; more are split over several. It steers the work and never the result.
     """
-    own = nodes.select("node", "f0", "f1", "f2", "weak", F.posexplode(F.array(*(_segment(i) for i in range(SEGMENTS)))).alias("i", "value"))
-    own = own.withColumn("i", F.col("i").cast("long"))
-    other = F.when(F.col("i") < 2, F.col("f1")).when(F.col("i") < 4, F.col("f2")).otherwise(F.col("f0"))
-    ball = F.explode(F.array(*(F.lit(x * 8 + y) for x, y in _BALL))).alias("flip")
-    weak = own.select("node", "i", "value", other.alias("rest"), F.element_at("weak", (F.col("i") + 1).cast("int")).alias("weak"), ball)
-
-    def flip(which: Column) -> Column:
-        place = F.expr(f"shiftright(weak, 5 * ({which})) & 31").cast("int")
-        return F.when(F.expr(f"({which}) = {WEAK}"), F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), place))
-
-    value = F.col("value").bitwiseXOR(flip("shiftright(flip, 3)")).bitwiseXOR(flip("flip & 7"))
-    probes = weak.select((F.col("i") * (1 << 32) + value).alias("key"), F.col("node").alias("b"), F.col("rest").alias("rest_b"))
-    entries = own.select((F.col("i") * (1 << 32) + F.col("value")).alias("key"), F.col("node").alias("a"), other.alias("rest_a"))
-    met = probes.join(entries, "key").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("rest_a").bitwiseXOR(F.col("rest_b"))) <= radius))
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    prints = nodes.select("node", F.struct("f0", "f1", "f2").alias("f"))
-    both = met.join(prints.select(F.col("node").alias("a"), F.col("f").alias("x")), "a").join(prints.select(F.col("node").alias("b"), F.col("f").alias("y")), "b")
-    return both.select("a", "b", _distance("x", "y").alias("distance")).where(F.col("distance") <= radius)
+    total = nodes.count()
+    lead = min(10, max(0, int(np.ceil(np.log2(max(1, total / most)))) + 1)) if total > most // 8 else 0
+    cells = 1 << lead
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((SEGMENTS, cells), np.int64)
+        for batch in batches:
+            values = segments(np.column_stack([batch.column(1 + i).to_numpy().view(np.uint64) for i in range(WORDS)])) >> (WIDTH - lead)
+            for i in range(SEGMENTS):
+                n[i] += np.bincount(values[:, i], minlength=cells)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n.size)), pa.array(n.ravel())], ["cell", "n"])
+
+    counts = np.zeros(SEGMENTS * cells, np.int64)
+    for cell, n in nodes.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():  # at most 12 x 1024 rows
+        counts[cell] = n
+    pieces = _pieces(counts, most)
+    first = np.cumsum(pieces) - pieces  # number of a cell's first piece
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            values = segments(np.column_stack([batch.column(1 + i).to_numpy().view(np.uint64) for i in range(WORDS)]))
+            for i in range(SEGMENTS):
+                for rows, to, spent in _sent(values[:, i], lead):
+                    cell = i * cells + to
+                    n = pieces[cell]
+                    at = np.repeat(np.arange(len(rows)), n)
+                    piece = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                    own = rows[at]
+                    home = piece == mix(node[own].view(np.uint64)) % n[at].astype(np.uint64)
+                    take = pa.array(own)
+                    yield pa.RecordBatch.from_arrays([pa.array(first[cell[at]] + piece), pa.array(np.full(len(own), i, np.int32)), pa.array(np.full(len(own), spent, np.int32)), pa.array(home), batch.column(0).take(take), *(batch.column(1 + k).take(take) for k in range(WORDS))], ["part", "segment", "spent", "entry", "node", *(f"f{k}" for k in range(WORDS))])
+
+    sent = nodes.select("node", "f0", "f1", "f2", "f3").mapInArrow(spread, "part long, segment int, spent int, entry boolean, node long, f0 long, f1 long, f2 long, f3 long")
+    return sent.groupBy("part").applyInArrow(lambda t: _verify(t, lead), "u long, v long, links long")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -96,7 +230,7 @@ def components(pairs: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps, O(log n) rounds, each cut by a reliable checkpoint.
     """
-    edges = checkpointed(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = checkpointed(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -111,40 +245,60 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def groups(documents: DataFrame, radius: int = 24) -> DataFrame:
-    """(doc_id, group_id, group_size, keep) for every row of documents.
+def _grouped(prints: DataFrame) -> DataFrame:
+    """prints (doc_id, row, f0 .. f3, and so on) with group (a row number, the least of the group), links and class_size."""
+    f = [f"f{i}" for i in range(WORDS)]
+    nodes = written(prints.where("f0 IS NOT NULL").groupBy(*f).agg(F.min("row").alias("node"), F.count("*").alias("class_size")))
+    found = checkpointed(links(nodes))
+    number = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    label = components(found.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    known = nodes.join(label, "node", "left").join(number, "node", "left").select(*f, "class_size", F.coalesce("label", "node").alias("group"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    return prints.join(known, f, "left").withColumns({"group": F.coalesce("group", "row"), "links": F.coalesce("links", F.lit(0).cast("long")), "class_size": F.coalesce("class_size", F.lit(1).cast("long"))})
 
-    group_id is the least doc_id of the document's group of near duplicates, and keep is true for one row of the group,
-    which has that doc_id. Exact copies have equal fingerprints and always share a group. Case and punctuation don't
-    count. A text without a word (null, empty, punctuation only) is a duplicate of nothing: group_id is its own doc_id.
-    All rows with one doc_id are in one group, whatever their texts. A row with a null doc_id is a group of its own, has
-    a null group_id and is kept. An empty table gives no rows. Further columns are ignored.
+
+def _numbered(documents: DataFrame) -> DataFrame:
+    return written(fingerprints(documents).withColumn("row", F.monotonically_increasing_id()))
+
+
+def groups(documents: DataFrame) -> DataFrame:
+    """(doc_id, group_id, group_size, copies, links, keep) for every row of documents.
+
+    group_id is the least doc_id of the row's group of near duplicates, group_size its number of rows. copies is the
+    number of rows with the row's fingerprint, itself included, and links the number of other fingerprints
+    within RADIUS bits of it: all of them, between different texts, without expanding copies into pairs. keep is true
+    for one row of each group, one with the least doc_id (nulls come last; of several such rows, the first that was read).
+
+    Exact copies have equal fingerprints and always share a group. Case and punctuation don't count. A text without a word
+    (null, empty, punctuation only) is a duplicate of nothing: its row is a group of its own. A row's doc_id plays no part
+    in what it is a duplicate of: rows that share one are told apart, and a row with a null doc_id is grouped by its text;
+    group_id is null where the whole group has no doc_id. An empty table gives no rows. Further columns are ignored.
     """
-    prints = checkpointed(fingerprints(documents).withColumn("row", F.monotonically_increasing_id()))
-    full = prints.where("f0 IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = checkpointed(full.groupBy("f0", "f1", "f2").agg(F.min("doc_id").alias("node"), F.min("weak").alias("weak")))
-    owners = full.select("doc_id", "f0", "f1", "f2").join(nodes.drop("weak"), ["f0", "f1", "f2"])
-    repeated = owners.groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("bs")).where("size(bs) > 1").select("a", F.explode("bs").alias("b")).where("a != b")
-    merged = components(near_pairs(nodes, radius).select("a", "b").unionByName(repeated))
-    labels = nodes.join(merged, "node", "left").select("f0", "f1", "f2", F.coalesce("label", "node").alias("label"))
-    found = prints.join(labels, ["f0", "f1", "f2"], "left").select("doc_id", "row", F.coalesce("label", "doc_id").alias("group_id"))
-    sizes = found.groupBy(F.col("group_id").alias("of")).agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "row"))["row"].alias("first"))
-    both = found.join(sizes, F.col("group_id") == F.col("of"), "left")
-    return both.select("doc_id", "group_id", F.coalesce("size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("row") == F.col("first"), F.lit(True)).alias("keep"))
-
-
-def filtered(documents: DataFrame, radius: int = 24) -> DataFrame:
+    both = _grouped(_numbered(documents))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    sizes = both.groupBy(F.col("group").alias("of")).agg(F.count("*").alias("group_size"), F.min(order).alias("first"))
+    return both.join(sizes, F.col("group") == F.col("of")).select("doc_id", F.col("first.doc_id").alias("group_id"), "group_size", F.col("class_size").alias("copies"), "links", (F.col("row") == F.col("first.row")).alias("keep"))
+
+
+def filtered(documents: DataFrame) -> DataFrame:
     """The rows of documents that groups() keeps, with all their columns; one row of each group.
 
-    What goes is found on fingerprints alone; texts are moved once, to drop them. Of rows that share a doc_id one stays,
-    any of them if their texts differ.
+    What goes is found on fingerprints alone, of distinct (doc_id, text) by a hash of both; texts are moved once, to drop
+    it. Of rows that agree in doc_id and text one stays; if further columns differ, any of them. Names of further columns
+    may be anything but __print.
     """
-    of = checkpointed(groups(documents, radius))
-    gone = of.where("NOT keep").select(F.col("doc_id").alias("gone_id")).join(of.where("keep").select(F.col("doc_id").alias("gone_id")), "gone_id", "left_anti").distinct()
-    left = documents.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    again = of.where("keep AND doc_id = group_id").select(F.col("doc_id").alias("again_id")).join(of.where("NOT keep").select(F.col("doc_id").alias("again_id")).distinct(), "again_id", "left_semi")
-    if again.isEmpty():
+    key = row_key(*fixed("doc_id", "text"))
+    slim = documents.select(key.alias("doc_id"), F.struct(F.col("`doc_id`").isNull(), F.col("`doc_id`")).alias("order"), F.col("`text`").alias("text"))
+    prints = written(fingerprints(slim.select("doc_id", "text")).withColumn("row", F.monotonically_increasing_id()))
+    orders = slim.select("doc_id", "order").distinct()
+    both = _grouped(prints).where("f0 IS NOT NULL").select("doc_id", "row", "group", "class_size", "links")
+    many = both.withColumn("n", F.lit(1)).groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+    member = written(both.join(many, "group").join(orders, "doc_id").select("doc_id", "row", "group", "order"))
+    first = member.groupBy("group").agg(F.min(F.struct("order", "row", "doc_id")).alias("first"))
+    kept = written(first.select(F.col("first.doc_id").alias("__print")))
+    gone = member.select(F.col("doc_id").alias("__print")).distinct().join(kept, "__print", "left_anti")
+    left = documents.join(gone, key == F.col("__print"), "left_anti")
+    repeated = written(member.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__print")).join(kept, "__print", "left_semi"))
+    if repeated.isEmpty():
         return left
-    again = checkpointed(again)
-    once = left.join(again, F.col("doc_id") == F.col("again_id"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, F.col("doc_id") == F.col("again_id"), "left_anti").unionByName(once)
+    once = left.withColumn("__print", key).join(repeated, "__print", "left_semi").dropDuplicates(["__print"]).drop("__print")
+    return left.join(repeated, key == F.col("__print"), "left_anti").unionByName(once)

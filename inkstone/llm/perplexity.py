@@ -1,31 +1,39 @@
 """Quality rules: perplexity under a modified Kneser-Ney n-gram model, with bands for each language.
 
-Spark counts the character 5-grams of all documents of a language; lower orders, discounts, probabilities
-and back-off weights follow from that table with joins and aggregates. The model is kept as arrays sorted by a
-64-bit hash of the n-gram. A document is rejected if its perplexity lies outside its language's band.
+Spark counts the character 4-grams of all documents of a language; lower orders, discounts, probabilities
+and back-off weights follow from that table with joins and aggregates. The model is written to the shared folder, a
+directory for each model, as arrays sorted by a 64-bit hash of the n-gram. Tasks read the models of the languages that they
+meet and hold the last few, so nothing is collected or broadcast, and any number of languages and any size of the corpus
+go one way. A document is rejected if its perplexity lies outside its language's band.
 
 Models are cross-fitted: a hash of its text puts each document in one of two folds, and it is scored by its
 language's model of the other fold, so no document and no exact copy of it is in the model that it is held against.
 
-Symbols are code points; those from 2048 on share 2048 classes by a hash, so that five symbols of 12 bits make
-one integer. Each text is preceded by four start symbols and followed by one end symbol.
+Symbols are code points, of 16 bits, so that four make one integer; those beyond the basic plane share its 6,400 private
+ones by a hash. Each text is preceded by three start symbols and followed by one end symbol.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, chunks, fixed, mix
+from .common import chunks, fixed, mix, row_key, shared_folder, written
 
-ORDER = 5
-BITS = 12
+ORDER = 4
+BITS = 16
+HELD_BYTES = 256 << 20  # of models in a task at once; more are read again
 START, END = 1, 2
 NO_LANGUAGE = "und"
+_SIGN = np.uint64(1 << 63)  # keeps the order of unsigned hashes in signed columns
 
 
 def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +51,7 @@ def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
                 c = c << 6 | at(i)
             code = np.where(m, c, code)
     code = np.where(code < 3, 0, code)
-    code = np.where(code < 2048, code, 2048 + ((code * np.uint32(2654435761)) >> np.uint32(21))).astype(np.uint64)
+    code = np.where(code < 65536, code, 0xE000 + ((code * np.uint32(2654435761)) >> np.uint32(8)) % np.uint32(6400)).astype(np.uint64)
     splits = np.searchsorted(first, offsets)
     count = np.diff(splits)
     to = np.concatenate([[0], np.cumsum(count + ORDER)])
@@ -54,7 +62,7 @@ def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 5-grams of each text, one for each of its symbols and its end; n + 1 offsets into them."""
+    """The 4-grams of each text, one for each of its symbols and its end; n + 1 offsets into them."""
     s, to = _symbols(data, offsets)
     key = s[: len(s) - ORDER + 1].copy()
     for i in range(1, ORDER):
@@ -107,7 +115,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count(documents: DataFrame) -> DataFrame:
-    """(lang, gram, n): how often each 5-gram occurs in all documents of a language.
+    """(lang, gram, n): how often each 4-gram occurs in all documents of a language.
 
     Each task sums its own counts before the shuffle, so that what is shuffled is the distinct n-grams of a task.
     """
@@ -115,60 +123,99 @@ def count(documents: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _suffix(k: int, gram: Column | str = "gram") -> Column:
+    return (F.col(gram) if isinstance(gram, str) else gram).bitwiseAND(F.lit((1 << BITS * k) - 1 if BITS * k < 64 else -1))
+
+
 def model(counts: DataFrame) -> DataFrame:
     """(lang, k, gram, logp, backoff): natural logarithms of modified Kneser-Ney probabilities.
 
     k is the order. Orders below the highest count the distinct symbols before an n-gram. backoff is the weight of
-    the lower order after this n-gram as a context, null where none follows it. A language's row with k = 0 holds
-    in logp the probability of an unseen symbol.
+    the lower order after this n-gram as a context, null where none follows it. Contexts of start symbols only have a row
+    with a backoff and no logp. A language's row with k = 0 holds in logp the probability of an unseen symbol. Each order's
+    probabilities sum to 1 after every context. Discounts are those of Chen and Goodman, kept within 0.05 and 0.95 of the count
+    that they are taken from, and half of it where they aren't defined.
     """
-    mask = lambda k: (1 << BITS * k) - 1
     tables = {ORDER: counts.select("lang", "gram", "n")}
     for k in range(ORDER - 1, 0, -1):
-        tables[k] = checkpointed(tables[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit(mask(k))).alias("gram")).agg(F.count("*").alias("n")))
+        tables[k] = tables[k + 1].groupBy("lang", _suffix(k).alias("gram")).agg(F.count("*").alias("n"))
+        tables[k] = written(tables[k]) if k > 1 else tables[k]
     of = lambda i: F.count_if(F.col("n") == i).cast("double")
-    done: list[DataFrame] = []
-    lower = None
+    out: list[DataFrame] = []
+    lower, unseen = None, None
     for k in range(1, ORDER + 1):
-        grams_k = tables[k].withColumn("context", F.shiftright("gram", BITS))
-        d = tables[k].groupBy("lang").agg(*(of(i).alias(f"n{i}") for i in (1, 2, 3, 4)))
+        d = tables[k].groupBy("lang").agg(*(of(i).alias(f"n{i}") for i in (1, 2, 3, 4)), (F.count("*") + 1).cast("double").alias("size"))
         y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
         cut = lambda i, own=y: F.when((F.col(f"n{i}") > 0), F.least(F.greatest(i - (i + 1) * own * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(0.05 * i)), F.lit(0.95 * i))).otherwise(F.lit(0.5 * i))
-        d = d.select("lang", cut(1).alias("d1"), cut(2).alias("d2"), cut(3).alias("d3"))
+        d = d.select("lang", "size", cut(1).alias("d1"), cut(2).alias("d2"), cut(3).alias("d3"))
         discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        cuts = grams_k.join(d, "lang").withColumn("cut", discount)
-        contexts = cuts.groupBy("lang", "context").agg(F.sum("n").cast("double").alias("total"), F.sum("cut").alias("freed")).select("lang", "context", "total", (F.col("freed") / F.col("total")).alias("gamma"))
-        joined = cuts.join(contexts, ["lang", "context"])
+        context = F.shiftrightunsigned("gram", BITS)
+        cuts = tables[k].join(d, "lang").select("lang", "gram", "n", "size", context.alias("context"), discount.alias("cut"))
+        after = Window.partitionBy("lang", "context")
+        cuts = cuts.withColumns({"total": F.sum("n").over(after).cast("double"), "gamma": F.sum("cut").over(after) / F.sum("n").over(after)})
         if k == 1:
-            sizes = tables[1].groupBy("lang").agg((F.count("*") + 1).cast("double").alias("size"))
-            joined = joined.join(sizes, "lang").withColumn("below", 1 / F.col("size"))
-            unseen = contexts.join(sizes, "lang").select("lang", F.lit(0).alias("k"), F.lit(0).cast("long").alias("gram"), F.log(F.col("gamma") / F.col("size")).alias("logp"), F.lit(None).cast("double").alias("backoff"))
+            cuts = cuts.withColumn("below", 1 / F.col("size"))
+            unseen = cuts.groupBy("lang").agg(F.log(F.max("gamma") / F.max("size")).alias("logp")).select("lang", F.lit(0).alias("k"), F.lit(0).cast("long").alias("gram"), "logp", F.lit(None).cast("double").alias("backoff"))
         else:
-            done[-1] = done[-1].join(contexts.select("lang", F.col("context").alias("gram"), F.log("gamma").alias("backoff")), ["lang", "gram"], "left")
-            joined = joined.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(mask(k - 1)))).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"])
+            cuts = cuts.withColumn("suffix", _suffix(k - 1)).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"])
         p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("below")
-        lower = checkpointed(joined.select("lang", "gram", p.alias("p")))
-        done.append(lower.select("lang", F.lit(k).alias("k"), "gram", F.log("p").alias("logp")))
-    done[-1] = done[-1].withColumn("backoff", F.lit(None).cast("double"))
-    out = unseen
-    for x in done:
-        out = out.unionByName(x.select("lang", "k", "gram", "logp", "backoff"))
-    return out
+        own = written(cuts.select("lang", "gram", "context", p.alias("p"), F.log("gamma").alias("backoff")))
+        if k > 1:
+            weights = own.groupBy("lang", F.col("context").alias("gram")).agg(F.first("backoff").alias("backoff"))
+            out.append(lower.select("lang", "gram", "p").join(weights, ["lang", "gram"], "full").select("lang", F.lit(k - 1).alias("k"), "gram", F.log("p").alias("logp"), "backoff"))
+        lower = own
+    out.append(lower.select("lang", F.lit(ORDER).alias("k"), "gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("backoff")))
+    for x in out:
+        unseen = unseen.unionByName(x)
+    return unseen
+
+
+def stored(table: DataFrame) -> str:
+    """Write a model to the shared folder and return its path: for each language a directory of rows sorted by k and hash.
+
+    The hash is a bijection of the n-gram, so no two n-grams share one. A language's rows pass through one task, which sorts and
+    doesn't hold them; their number grows far more slowly than its texts.
+    """
+    spark = table.sparkSession
+    path = f"{shared_folder(spark)}/{uuid4().hex}"
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((mix(b.column(2).to_numpy().view(np.uint64)) ^ _SIGN).view(np.int64)), b.column(3), b.column(4)], ["model", "k", "hash", "logp", "backoff"])
+
+    rows = table.select(F.hex(F.encode("lang", "utf-8")).alias("model"), "k", "gram", F.col("logp").cast("float").alias("logp"), F.col("backoff").cast("float").alias("backoff"))
+    rows = rows.mapInArrow(hashed, "model string, k int, hash long, logp float, backoff float")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(n, "model").sortWithinPartitions("model", "k", "hash").write.partitionBy("model").parquet(path)
+    return path
 
 
 class Arrays:
     """One language's model: for each order, sorted hashes with log probabilities and back-off weights."""
 
-    def __init__(self, k: np.ndarray, gram: np.ndarray, logp: np.ndarray, backoff: np.ndarray) -> None:
-        self.unseen = float(logp[k == 0][0])
-        self.orders = []
-        for order in range(1, ORDER + 1):
-            own = k == order
-            h = mix(gram[own].view(np.uint64))
-            by = np.argsort(h)
-            self.orders.append((h[by], logp[own][by].astype(np.float32), np.nan_to_num(backoff[own][by]).astype(np.float32)))
+    def __init__(self, k: np.ndarray, h: np.ndarray, logp: np.ndarray, backoff: np.ndarray) -> None:
+        ends = np.searchsorted(k, np.arange(ORDER + 2))
+        self.unseen = float(logp[0])
+        self.orders = [(h[a:b], logp[a:b], np.nan_to_num(backoff[a:b])) for a, b in zip(ends[1:], ends[2:], strict=False)]
+        self.size = len(h) * 16
         self.index()
 
+    @classmethod
+    def read(cls, path: str, name: str) -> Arrays | None:
+        """The model of a language in the folder that stored() returned, or None."""
+        files, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+        found = files.get_file_info(pafs.FileSelector(f"{root}/model={name.encode().hex().upper()}", allow_not_found=True))
+        found = sorted(f.path for f in found if f.path.endswith(".parquet"))
+        if not found:
+            return None
+        rows = pa.concat_tables([pq.read_table(f, filesystem=files) for f in found]).combine_chunks()
+        k, h, logp, backoff = (rows[c].to_numpy() for c in ("k", "hash", "logp", "backoff"))
+        h = h.view(np.uint64) ^ _SIGN
+        if (np.diff(k) < 0).any() or len(found) > 1:
+            by = np.lexsort((h, k))
+            k, h, logp, backoff = k[by], h[by], logp[by], backoff[by]
+        return cls(k, h, logp, backoff)
+
     def index(self) -> None:
         """For each order, where the hashes with given leading bits start."""
         self.starts = []
@@ -196,7 +243,7 @@ class Arrays:
         out = np.zeros(len(gram))
         rest = np.arange(len(gram))
         for k in range(ORDER, 0, -1):
-            g = gram[rest] & np.uint64((1 << BITS * k) - 1)
+            g = gram[rest] & np.uint64((1 << BITS * k) - 1 & 0xFFFFFFFFFFFFFFFF)
             row = self.find(k, g)
             hit = row >= 0
             out[rest[hit]] += self.orders[k - 1][1][row[hit]]
@@ -210,115 +257,77 @@ class Arrays:
         return out
 
 
-def log_losses(documents: DataFrame, table: DataFrame, max_broadcast: int = 6_000_000) -> DataFrame:
+def log_losses(documents: DataFrame, path: str) -> DataFrame:
     """(doc_id, lang, n_grams, loss): mean negative log probability of each document's symbols, 5 decimals.
 
-    The model is broadcast as arrays of 16 bytes a row if it has at most `max_broadcast` rows; beyond that documents'
-    n-grams are joined to it. Both ways give the same result up to rounding.
+    path is what stored() returned. One pass without a shuffle. Where a language has no model, the loss is that of one symbol of 65536.
     """
     rows = documents.select(*fixed("doc_id", "lang", "text")).toDF("doc_id", "lang", "text")
     kind = dict(rows.dtypes)["doc_id"]
-    if table.count() > max_broadcast:
-        return _joined_losses(rows, table)
-    got = table.withColumns({"logp": F.col("logp").cast("float"), "backoff": F.col("backoff").cast("float")}).toArrow().combine_chunks()
-    arrays = {}
-    if got.num_rows:
-        names = got["lang"].to_pandas().to_numpy()
-        columns = [got[c].to_numpy() for c in ("k", "gram", "logp", "backoff")]
-        for name in np.unique(names):
-            arrays[name] = Arrays(*(c[names == name] for c in columns))
-            del arrays[name].starts
-    del got
-    sent = documents.sparkSession.sparkContext.broadcast(arrays)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = sent.value
-        for m in models.values():
-            if not hasattr(m, "starts"):
-                m.index()
+        held: OrderedDict[str, Arrays | None] = OrderedDict()
         for batch in batches:
             loss, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for name, at in _by_language(batch, 1):
+                if name not in held:
+                    held[name] = Arrays.read(path, name)
+                    while len(held) > 1 and sum(m.size for m in held.values() if m) > HELD_BYTES:
+                        held.popitem(last=False)
+                held.move_to_end(name)
+                own = held[name]
                 for lo, hi, data, offsets in chunks(batch.column(2).take(pa.array(at))):
                     key, to = grams(data, offsets)
                     n[at[lo:hi]] = np.diff(to)
-                    loss[at[lo:hi]] = np.add.reduceat(-models[name].logp(key), to[:-1]) / np.diff(to) if name in models else np.log(1 << BITS)
+                    loss[at[lo:hi]] = np.add.reduceat(-own.logp(key), to[:-1]) / np.diff(to) if own else np.log(1 << BITS)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).fill_null(NO_LANGUAGE), pa.array(n), pa.array(np.round(loss, 5))], ["doc_id", "lang", "n_grams", "loss"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, lang string, n_grams long, loss double")
 
 
-def _joined_losses(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """log_losses by joins on n-grams, for models of any size."""
-    kind = dict(rows.dtypes)["doc_id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in chunks(batch.column(3)):
-                key, to = grams(data, offsets)
-                doc = np.repeat(np.arange(lo, hi), np.diff(to))
-                order = np.lexsort((key, doc))
-                key, doc = key[order], doc[order]
-                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))
-                own = pa.array(doc[new])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), batch.column(2).fill_null(NO_LANGUAGE).take(own), pa.array(key[new].view(np.int64)), pa.array(np.diff(np.append(new, len(key))))], ["row", "doc_id", "lang", "gram", "n"])
-
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text")
-    left = numbered.mapInArrow(run, f"row long, doc_id {kind}, lang string, gram long, n long").withColumn("add", F.lit(0.0))
-    found = []
-    for k in range(ORDER, -1, -1):
-        g = F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1))
-        at = table.where(F.col("k") == k).select("lang", F.col("gram").alias("g"), "logp")
-        both = left.withColumn("g", g).join(at, ["lang", "g"], "left")
-        if not k:  # a language without a model
-            both = both.withColumn("logp", F.coalesce("logp", F.lit(-float(np.log(1 << BITS)))))
-        found.append(both.where("logp IS NOT NULL").select("row", "doc_id", "lang", "n", (F.col("add") + F.col("logp")).alias("logp")))
-        left = both.where("logp IS NULL").drop("logp", "g")
-        if k > 1:
-            after = table.where(F.col("k") == k - 1).select("lang", F.col("gram").alias("g"), "backoff")
-            left = left.withColumn("g", F.shiftright(g, BITS)).join(after, ["lang", "g"], "left").withColumn("add", F.col("add") + F.coalesce("backoff", F.lit(0.0))).drop("backoff", "g")
-    total = found[0]
-    for x in found[1:]:
-        total = total.unionByName(x)
-    return total.groupBy("row", "doc_id", "lang").agg(F.sum("n").alias("n_grams"), F.round(-F.sum(F.col("n") * F.col("logp")) / F.sum("n"), 5).alias("loss")).drop("row")
-
-
 def held_out_losses(documents: DataFrame) -> DataFrame:
     """log_losses of each document by the model of its language's documents in the other fold.
 
-    Where the other fold has none, every document of the language has the loss of a symbol out of all, log(4096).
+    Where the other fold has none, every document of the language has the loss of a symbol out of all.
     """
     rows = documents.select(*fixed("doc_id", "lang", "text")).toDF("doc_id", "lang", "text")
     fold = F.xxhash64("text").bitwiseAND(F.lit(1))
     label = lambda f: F.concat(F.coalesce("lang", F.lit(NO_LANGUAGE)), F.lit("|"), f.cast("string"))
-    table = checkpointed(model(checkpointed(count(rows.withColumn("lang", label(fold))))))
-    losses = log_losses(rows.withColumn("lang", label(1 - fold)), table)
+    path = stored(model(written(count(rows.withColumn("lang", label(fold))))))
+    losses = log_losses(rows.withColumn("lang", label(1 - fold)), path)
     return losses.withColumn("lang", F.expr("left(lang, length(lang) - 2)"))
 
 
-def bands(losses: DataFrame, width: float = 6.0, floor: float = 0.08, spread: float = 3.0) -> DataFrame:
-    """(lang, low, high, slack): each language's band of mean log losses for long texts, from all its documents.
+def bands(losses: DataFrame, width: float = 6.0, floor: float = 0.12, spread: float = 3.0) -> DataFrame:
+    """(lang, low, high, slack): each language's band of mean log losses, from all its documents.
 
-    The middle is the median, and each half-width is `width` times the distance between the median and the quartile
-    on that side, `floor` at least. Documents with under 200 symbols count only where a language has no longer ones.
-    slack is `spread` standard deviations of one symbol's loss, as estimated from the median of
-    |loss - middle| * sqrt(n_grams) over all the language's documents.
+    The middle is the median over its symbols (each document counts by its length), and each half-width is `width` times the
+    distance between the median and the quartile on that side, `floor` at least. slack is `spread` standard deviations of
+    one symbol's loss, as estimated from the median of |loss - middle| * sqrt(n_grams). Losses are rounded to 0.001 nats
+    and summed before they are sorted, so a language costs as many rows as it has such values.
     """
-    long = F.when(F.col("n_grams") >= 200, F.col("loss"))
-    q = lambda p: F.coalesce(F.percentile_approx(long, F.lit(p), F.lit(10000)), F.percentile_approx("loss", F.lit(p), F.lit(10000)))
-    found = losses.groupBy("lang").agg(q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"))
-    off = losses.join(F.broadcast(found), "lang").groupBy("lang").agg(F.percentile_approx(F.abs(F.col("loss") - F.col("q2")) * F.sqrt("n_grams"), F.lit(0.5), F.lit(10000)).alias("off"))
+    steps = losses.groupBy("lang", F.round("loss", 3).alias("x")).agg(F.sum("n_grams").alias("w"))
+    found = _quantiles(steps, (0.25, 0.5, 0.75))
+    off = losses.join(found, "lang").groupBy("lang", F.round(F.abs(F.col("loss") - F.col("q1")) * F.sqrt("n_grams"), 2).alias("x")).agg(F.count("*").alias("w"))
+    off = _quantiles(off, (0.5,)).select("lang", F.col("q0").alias("off"))
     half = lambda x: F.greatest(F.lit(width) * x, F.lit(floor))
-    return found.join(off, "lang").select("lang", (F.col("q2") - half(F.col("q2") - F.col("q1"))).alias("low"), (F.col("q2") + half(F.col("q3") - F.col("q2"))).alias("high"), (F.lit(spread * 1.4826) * F.col("off")).alias("slack"))
+    return found.join(off, "lang").select("lang", (F.col("q1") - half(F.col("q1") - F.col("q0"))).alias("low"), (F.col("q1") + half(F.col("q2") - F.col("q1"))).alias("high"), (F.lit(spread * 1.4826) * F.col("off")).alias("slack"))
+
+
+def _quantiles(steps: DataFrame, at: tuple[float, ...]) -> DataFrame:
+    """(lang, q0, q1, ..): least x that has a share of at least at[i] of its language's weight w at or below it."""
+    own = Window.partitionBy("lang")
+    share = F.sum("w").over(own.orderBy("x")) / F.sum("w").over(own)
+    return steps.withColumn("share", share).groupBy("lang").agg(*(F.min(F.when(F.col("share") >= q, F.col("x"))).alias(f"q{i}") for i, q in enumerate(at)))
 
 
 def judged(losses: DataFrame, limits: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_grams, perplexity, keep): a document is kept inside its language's band.
+    """(doc_id, lang, n_grams, perplexity, keep): a document is kept inside its language's band, edges included.
 
     The band is widened by slack / sqrt(n_grams) on both sides, since the mean over a short text varies more.
     """
     more = F.col("slack") / F.sqrt("n_grams")
-    return losses.join(F.broadcast(limits), "lang").select("doc_id", "lang", "n_grams", F.round(F.exp("loss"), 4).alias("perplexity"), ((F.col("loss") >= F.col("low") - more) & (F.col("loss") <= F.col("high") + more)).alias("keep"))
+    return losses.join(limits, "lang").select("doc_id", "lang", "n_grams", F.round(F.exp("loss"), 4).alias("perplexity"), ((F.col("loss") >= F.col("low") - more) & (F.col("loss") <= F.col("high") + more)).alias("keep"))
 
 
 def rate(documents: DataFrame) -> DataFrame:
@@ -328,17 +337,17 @@ def rate(documents: DataFrame) -> DataFrame:
     judged apiece. A language whose documents are all in one fold, as where it has only one, offers nothing to hold them
     against, and they are kept. An empty table gives no rows. Further columns are ignored.
     """
-    losses = checkpointed(held_out_losses(documents))
+    losses = written(held_out_losses(documents))
     return judged(losses, bands(losses))
 
 
 def filtered(documents: DataFrame) -> DataFrame:
-    """The rows of documents that rate() keeps, with all their columns.
+    """The rows of documents that rate() keeps, with all their columns, whatever their names but __rejected.
 
     Texts are moved once, to drop the rejected rows, or not at all where these are few enough to be broadcast. Rows are told
-    by a hash of doc_id, lang and text, on which the verdict depends.
+    by a 128-bit hash of lang and text, on which the verdict depends.
     """
-    key = F.xxhash64(*fixed("doc_id", "lang", "text"))
+    key = row_key(*fixed("lang", "text"))
     rated = rate(documents.select(key.alias("doc_id"), *fixed("lang", "text")))
-    gone = rated.where("NOT keep").select(F.col("doc_id").alias("__rejected")).distinct()
+    gone = written(rated.where("NOT keep").select(F.col("doc_id").alias("__rejected")).distinct())
     return documents.join(gone, key == F.col("__rejected"), "left_anti")
