@@ -182,14 +182,15 @@ def _verify(part: pa.Table, lead: int) -> pa.Table:
     return pa.table({"u": node[u], "v": node[label[u]], "links": links[u]})
 
 
-def links(nodes: DataFrame, most: int = 50_000) -> DataFrame:
+def links(nodes: DataFrame, most: int = 250_000) -> DataFrame:
     """(u, v, links): edges u - v that connect what the pairs within RADIUS bits connect, and numbers of such pairs, to be summed for each u.
 
     nodes: (node, f0 .. f3), one row a distinct fingerprint. v may be u. `most` fingerprints of a segment's table are
-    held against the queries in one task; more are split over several. It steers the work and never the result.
+    held against the queries in one task; more are split over several. It steers the work and never the result. With L
+    leading bits a fingerprint is sent 12 (1 + L / 2 + L (L - 1) / 4) times on average; L is 4 up to 16 times `most`
+    fingerprints and their number's binary logarithm beyond.
     """
-    total = nodes.count()
-    lead = min(10, max(0, int(np.ceil(np.log2(max(1, total / most)))) + 1)) if total > most // 8 else 0
+    lead = min(14, max(4, int(np.ceil(np.log2(max(1, nodes.count() / most))))))
     cells = 1 << lead
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +202,7 @@ def links(nodes: DataFrame, most: int = 50_000) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n.size)), pa.array(n.ravel())], ["cell", "n"])
 
     counts = np.zeros(SEGMENTS * cells, np.int64)
-    for cell, n in nodes.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():  # at most 12 x 1024 rows
+    for cell, n in nodes.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():  # at most 12 x 16384 rows
         counts[cell] = n
     pieces = _pieces(counts, most)
     first = np.cumsum(pieces) - pieces  # number of a cell's first piece
