@@ -1 +1 @@
-"""inkstone: operators."""
+"""Operators that built-in functions can't express."""
