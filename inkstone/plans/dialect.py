@@ -30,6 +30,9 @@ class Spark:
     def grams(self, x: str, n: int) -> str:
         return f"transform(sequence(1, greatest(length({x}) - {n} + 1, 1)), i -> substr({x}, i, {n}))"
 
+    def distinct(self, array: str) -> str:
+        return f"array_distinct({array})"
+
     def unnest(self, array: str, name: str) -> str:
         """A FROM item that follows a table."""
         return f"LATERAL VIEW explode({array}) AS {name}"
@@ -69,6 +72,9 @@ class Duck(Spark):
     def grams(self, x: str, n: int) -> str:
         return f"list_transform(range(1, greatest(length({x}) - {n} + 1, 1) + 1), lambda i: substr({x}, i, {n}))"
 
+    def distinct(self, array: str) -> str:
+        return f"list_distinct({array})"
+
     def unnest(self, array: str, name: str) -> str:
         return f", LATERAL (SELECT unnest({array}) AS {name})"
 

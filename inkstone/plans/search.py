@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import stored
 from ..functions import compact, norm, plain
 from ..operators import quotes as q
 from ..registry import both, given, query
@@ -28,7 +29,7 @@ def searched(text):
         given(spark, sf_dir, "documents", "benchmark")
         held = f"WITH {views(SPARK)}, {quote_views(SPARK)}"
         paragraphs = spark.sql(f"{held} SELECT paragraph_id, text_raw, norm, compact, plain FROM paragraphs WHERE eligible")
-        q.hits(paragraphs, spark.sql(f"{held} SELECT * FROM quotes")).createOrReplaceTempView("hits")
+        stored(q.hits(paragraphs, spark.sql(f"{held} SELECT * FROM quotes"))).createOrReplaceTempView("hits")
         return spark.sql(f"{held} {text(SPARK)}")
 
     run.__name__ = text.__name__
@@ -114,7 +115,7 @@ SELECT c.item_id, c.paragraph_id, r.before AS context_before, r.after AS context
 
 
 def postings(d: Spark) -> str:
-    return f"postings AS (SELECT DISTINCT gram, paragraph_id FROM (SELECT paragraph_id, plain FROM paragraphs WHERE eligible AND length(plain) >= 3) p {d.unnest(d.grams('plain', 3), 'gram')})"
+    return f"postings AS (SELECT gram, paragraph_id FROM (SELECT paragraph_id, plain FROM paragraphs WHERE eligible AND length(plain) >= 3) p {d.unnest(d.distinct(d.grams('plain', 3)), 'gram')})"
 
 
 def asked(d: Spark) -> str:
@@ -168,5 +169,5 @@ def flt_substring(d: Spark) -> str:
 
 @both
 def gram_overlap(d: Spark) -> str:
-    """Share of each quote's bigrams that its best paragraph of the document with its number has."""
-    return f"WITH {views(d)}, {quote_views(d)}, a AS (SELECT DISTINCT item_id, gram FROM quotes q {d.unnest(d.grams('plain', 2), 'gram')}), b AS (SELECT DISTINCT paragraph_id, doc_id, gram FROM (SELECT paragraph_id, doc_id, plain FROM paragraphs WHERE doc_id < 1000) p {d.unnest(d.grams('plain', 2), 'gram')}) SELECT a.item_id, b.paragraph_id, count(*) AS overlap FROM a JOIN b ON a.item_id = b.doc_id AND a.gram = b.gram GROUP BY a.item_id, b.paragraph_id".replace(" WHERE doc_id < 1000", "")
+    """Number of each quote's bigrams that its best paragraph of the document with its number has."""
+    return f"WITH {views(d)}, {quote_views(d)}, a AS (SELECT item_id, gram FROM quotes q {d.unnest(d.distinct(d.grams('plain', 2)), 'gram')}), b AS (SELECT paragraph_id, doc_id, gram FROM (SELECT paragraph_id, doc_id, plain FROM paragraphs) p {d.unnest(d.distinct(d.grams('plain', 2)), 'gram')}) SELECT a.item_id, b.paragraph_id, count(*) AS overlap FROM a JOIN b ON a.item_id = b.doc_id AND a.gram = b.gram GROUP BY a.item_id, b.paragraph_id"

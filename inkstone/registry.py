@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import read
 from .plans.dialect import DUCK, SPARK
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -15,7 +16,7 @@ TABLES = ("documents", "benchmark", "labels", "events", "conversations", "pages"
 def given(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """The given tables as temporary views."""
     for name in names:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        read(spark, f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
 def both(text: Callable) -> Callable:
