@@ -5,11 +5,17 @@ of its count. Two fingerprints at most 35 bits apart differ in at most two bits
 would make 36). So every pair within the radius is found by looking up, for each segment, all values within two flips
 of a fingerprint's own in the table of that segment, and verifying complete distances: nothing is cut off.
 
+Pairs of values within two flips grow with the square of the table, so that few of them may be looked at closely. Go round the twelve
+segments in a ring from segment to segment and add up differing bits, less three for each segment: a pair within the radius
+ends below 0, so that from the last place where this sum is greatest, every run of k segments differs in less than 3 k bits (cycle lemma). A
+pair is found from that one segment only, and there the next three segments, which fit an integer, must differ in less than 12 bits together with it:
+this is all that is computed for a pair of values, and hardly an unrelated pair is left to have its complete distance taken.
+
 A segment's table is spread over tasks by the first bits of the value. A fingerprint is sent to its own part and, as a
 query with as many flips less to spend, to the parts that it reaches by flipping leading bits, of which only the smaller
 values are visited, as the other side of the pair visits the rest. The balls round the remaining bits are enumerated in
 the task, over an array indexed by value. Parts that hold more than `most` fingerprints are split, and what queries them
-is sent to every piece.
+is sent to every piece (fingerprints of the same part only to the later ones, as the earlier ones are sent to theirs).
 
 Groups are the connected components.
 """
@@ -31,6 +37,7 @@ BITS = SEGMENTS * WIDTH
 RADIUS = SEGMENTS * (FLIPS + 1) - 1
 WORDS = 4  # 64-bit integers in a fingerprint
 _BLOCK = 4096
+_LOOKUPS, _PAIRS = 1 << 18, 1 << 16  # at once, to stay in a core's cache
 
 
 def votes(words: np.ndarray) -> np.ndarray:
@@ -72,17 +79,30 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, f0 long, f1 long, f2 long, f3 long")
 
 
+def _segment(prints: np.ndarray, i: int) -> np.ndarray:
+    """Values of segment i of (n, 4) fingerprints."""
+    word, shift = divmod(i * WIDTH, 64)
+    x = prints[:, word] >> np.uint64(shift)
+    if shift + WIDTH > 64:
+        x = x | prints[:, word + 1] << np.uint64(64 - shift)
+    return (x & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
+
+
 def segments(prints: np.ndarray) -> np.ndarray:
     """(n, 12) segment values of (n, 4) fingerprints."""
-    out = np.empty((len(prints), SEGMENTS), np.int64)
-    mask = np.uint64((1 << WIDTH) - 1)
-    for i in range(SEGMENTS):
-        word, shift = divmod(i * WIDTH, 64)
-        x = prints[:, word] >> np.uint64(shift)
-        if shift + WIDTH > 64:
-            x = x | prints[:, word + 1] << np.uint64(64 - shift)
-        out[:, i] = (x & mask).astype(np.int64)
-    return out
+    return np.stack([_segment(prints, i) for i in range(SEGMENTS)], 1)
+
+
+def _following(prints: np.ndarray, segment: int) -> np.ndarray:
+    """The next three segments in the ring as an integer."""
+    return np.bitwise_or.reduce([_segment(prints, (segment + i) % SEGMENTS) << (i - 1) * WIDTH for i in (1, 2, 3)])
+
+
+def _starts(differing: np.ndarray) -> np.ndarray:
+    """For (n, 4) differing bits of pairs within the radius, the segment from which each is found."""
+    over = np.bitwise_count(segments(differing)).astype(np.int8) - np.int8(FLIPS + 1)
+    before = np.cumsum(over, 1, dtype=np.int16) - over
+    return SEGMENTS - 1 - np.argmax(before[:, ::-1], 1)
 
 
 def ball(width: int, flips: int) -> np.ndarray:
@@ -103,21 +123,36 @@ def _pieces(counts: np.ndarray, most: int) -> np.ndarray:
     return np.maximum(1, -(-counts // most))
 
 
-def _matches(low: np.ndarray, starts: np.ndarray, order: np.ndarray, queries: np.ndarray, masks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(queries' rows, entries' rows) with values that differ by one of the masks, block by block."""
-    step = max(1, (1 << 20) // max(1, len(queries)))
+def _matches(starts: np.ndarray, keys: np.ndarray, ask: np.ndarray, ask_keys: np.ndarray, masks: np.ndarray, least: int, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(queries' places, entries' places) with values that differ by one of the masks and keys in less than `least` bits, block by block.
+
+    Entries lie in the order of their values, those of value v from starts[v] on. own: the queries are the entries, and each pair comes once.
+    """
+    step = max(1, _LOOKUPS // max(1, len(ask)))
     for i in range(0, len(masks), step):
-        value = (queries[None, :] ^ masks[i : i + step, None]).ravel()
-        a, n = starts[value], starts[value + 1] - starts[value]
+        flips = masks[i : i + step, None]
+        value = ask[None, :] ^ flips
+        a = starts[value]
+        n = starts[value + 1] - a
+        if own:
+            n[value < ask] = 0
+            same = np.flatnonzero(flips == 0)
+            a[same] = np.arange(1, len(ask) + 1)
+            n[same] = starts[ask + 1] - a[same]
+        n, a = n.ravel(), a.ravel()
         hit = np.flatnonzero(n)
-        n, a, q = n[hit], a[hit], hit % len(queries)
-        ends = np.cumsum(n)
+        n, a, q = n[hit], a[hit], hit % len(ask)
+        ends = np.cumsum(n, dtype=np.int64)
         lo = 0
-        while lo < len(hit):  # at most some four million matches at once, or those of one query
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 22), "right")))
-            m = n[lo:hi]
-            at = np.repeat(a[lo:hi], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            yield np.repeat(q[lo:hi], m), order[at]
+        while lo < len(hit):  # so many pairs of values at once, or those of one query
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + _PAIRS, "right")))
+            m, stop = n[lo:hi], (ends[lo:hi] - before).astype(np.int32)
+            at = np.arange(stop[-1], dtype=np.int32)
+            at += np.repeat(a[lo:hi] - stop + m, m)
+            found = np.flatnonzero(np.bitwise_count(keys[at] ^ np.repeat(ask_keys[q[lo:hi]], m)) < least)
+            if len(found):
+                yield q[lo + np.searchsorted(stop, found, "right")], at[found]
             lo = hi
 
 
@@ -143,40 +178,36 @@ def _verify(part: pa.Table, lead: int) -> pa.Table:
     node, spent = part["node"].to_numpy(), part["spent"].to_numpy()
     prints = np.column_stack([part[f"f{i}"].to_numpy().view(np.uint64) for i in range(WORDS)])
     segment = int(part["segment"][0].as_py())
-    values = segments(prints)
     width = WIDTH - lead
-    low = values[:, segment] & ((1 << width) - 1)
-    entries = np.flatnonzero(spent == 0)
-    entries = entries[part["entry"].to_numpy()[entries]]
-    by = np.argsort(low[entries], kind="stable")
-    order = entries[by]
-    starts = np.searchsorted(low[order], np.arange((1 << width) + 1))
+    low = (_segment(prints, segment) & ((1 << width) - 1)).astype(np.int32)
+    keys = _following(prints, segment)
+    home = part["entry"].to_numpy()
+    by_value = lambda chosen: (rows := np.flatnonzero(chosen))[np.argsort(low[rows], kind="stable")]
+    order = by_value(home)
+    starts = np.searchsorted(low[order], np.arange((1 << width) + 1)).astype(np.int32)
+    entry_keys = keys[order]
     edges: list[tuple[np.ndarray, np.ndarray]] = []
     links = np.zeros(len(node), np.int64)
     label = np.arange(len(node))
-    for s in range(FLIPS + 1):
-        ask = np.flatnonzero(spent == s)
+    held = 0
+    for s, own in ((0, True), *((s, False) for s in range(FLIPS + 1))):
+        ask = order if own else by_value((spent == s) & ~home)
         if not len(ask) or not len(order):
             continue
-        for q, e in _matches(low, starts, order, low[ask], ball(width, min(FLIPS - s, width))):
-            q = ask[q]
-            if not s:
-                once = node[q] < node[e]  # each of two entries asks
-                q, e = q[once], e[once]
-            d = np.zeros(len(q), np.int16)
-            for i in range(WORDS):
-                d += np.bitwise_count(prints[q, i] ^ prints[e, i])
-            near = d <= RADIUS
+        for q, e in _matches(starts, entry_keys, low[ask], keys[ask], ball(width, min(FLIPS - s, width)).astype(np.int32), 4 * (FLIPS + 1) - s, own):
+            q, e = ask[q], order[e]
+            differing = prints[q] ^ prints[e]
+            near = np.flatnonzero(np.bitwise_count(differing).sum(1) <= RADIUS)
+            if len(near):
+                near = near[_starts(differing[near]) == segment]
             q, e = q[near], e[near]
-            for i in range(segment):  # a pair counts where it is met first
-                first = np.bitwise_count(values[q, i] ^ values[e, i]) > FLIPS
-                q, e = q[first], e[first]
             np.add.at(links, q, 1)
             np.add.at(links, e, 1)
             edges.append((q, e))
-            if sum(len(x) for x, _ in edges) > 1 << 22:
+            held += len(q)
+            if held > 1 << 22:
                 label = _linked(len(node), *(np.concatenate(x) for x in zip(*edges, (np.arange(len(node)), label), strict=True)))
-                edges = []
+                edges, held = [], 0
     label = _linked(len(node), *(np.concatenate(x) for x in zip(*edges, (np.arange(len(node)), label), strict=True)))
     u = np.flatnonzero((label != np.arange(len(node))) | (links > 0))
     return pa.table({"u": node[u], "v": node[label[u]], "links": links[u]})
@@ -218,7 +249,12 @@ def links(nodes: DataFrame, most: int = 250_000) -> DataFrame:
                     at = np.repeat(np.arange(len(rows)), n)
                     piece = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
                     own = rows[at]
-                    home = piece == mix(node[own].view(np.uint64)) % n[at].astype(np.uint64)
+                    home = np.zeros(len(own), bool)
+                    if not spent:  # all rows, in their own part
+                        entry = (mix(node.view(np.uint64)) % n.astype(np.uint64)).astype(np.int64)[at]
+                        later = piece >= entry
+                        home = (piece == entry)[later]
+                        at, piece, own = at[later], piece[later], own[later]
                     take = pa.array(own)
                     yield pa.RecordBatch.from_arrays([pa.array(first[cell[at]] + piece), pa.array(np.full(len(own), i, np.int32)), pa.array(np.full(len(own), spent, np.int32)), pa.array(home), batch.column(0).take(take), *(batch.column(1 + k).take(take) for k in range(WORDS))], ["part", "segment", "spent", "entry", "node", *(f"f{k}" for k in range(WORDS))])
 

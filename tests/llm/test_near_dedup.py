@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from inkstone.llm import near_dedup
 from pyspark.sql import functions as F
 
@@ -99,3 +100,45 @@ def test_empty_tables_and_a_long_text(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     got = near_dedup.groups(spark.createDataFrame([("a", long), ("b", long + " end")], "doc_id string, text string")).collect()
     assert {(r["group_id"], r["copies"], r["keep"]) for r in got} == {("a", 2, True), ("a", 2, False)}
+
+
+def verified(x):
+    """(links of each of the prints, pairs that were looked at closely) without Spark."""
+    links, looked, matches = np.zeros(len(x), int), [0], near_dedup._matches
+
+    def counted(*given):
+        for q, e in matches(*given):
+            looked[0] += len(q)
+            yield q, e
+
+    near_dedup._matches = counted
+    try:
+        for i, v in enumerate(near_dedup.segments(x).T):
+            sent = list(near_dedup._sent(v, 4))
+            for cell in range(16):
+                rows, spent = np.concatenate([r[to == cell] for r, to, _ in sent]), np.concatenate([np.full((to == cell).sum(), s, np.int32) for _, to, s in sent])
+                if len(rows):
+                    part = pa.table({"segment": np.full(len(rows), i, np.int32), "spent": spent, "entry": spent == 0, "node": rows, **{f"f{k}": x[rows, k].view(np.int64) for k in range(4)}})
+                    out = near_dedup._verify(part, 4)
+                    np.add.at(links, out["u"].to_numpy(), out["links"].to_numpy())
+    finally:
+        near_dedup._matches = matches
+    return links, looked[0]
+
+
+def test_unrelated_prints_are_not_compared_and_no_pair_is_lost():
+    draw = np.random.default_rng(5)
+    bits = (draw.random((8000, 256)) < np.where(draw.random(256) < 0.5, 0.25, 0.75)).astype(np.uint8)  # as texts of one language have them
+    bits[:, near_dedup.BITS :] = 0
+    for i in range(600):  # at most and just beyond the radius, spread evenly or left to chance
+        even = np.concatenate([k * 20 + draw.permutation(20)[: 3 - (k == i % 12)] for k in range(12)])
+        flip = even if i % 3 == 0 else draw.permutation(near_dedup.BITS)[: draw.integers(30, 38)]
+        bits[7000 + i] = bits[i]
+        bits[7000 + i, flip] ^= 1
+    x = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    near = np.zeros(len(x), int)
+    for lo in range(0, len(x), 1000):
+        near[lo : lo + 1000] = (np.bitwise_count(x[lo : lo + 1000, None] ^ x[None]).sum(2) <= near_dedup.RADIUS).sum(1) - 1
+    links, looked = verified(x)
+    assert near.sum() > 800 and (links == near).all()
+    assert looked < 20 * near.sum()  # pairs of values within two flips are many more
