@@ -1,5 +1,6 @@
 import numpy as np
 from inkstone.llm import quality
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 D = "/root/testdata/sf0.1"
@@ -51,3 +52,37 @@ def test_edge_cases(spark):
     assert quality.filtered(docs, labels.limit(0)).count() == 5
     assert quality.classify(docs.limit(0), labels).count() == 0
     assert quality.classify(docs.drop("lang"), labels).count() == 5
+
+
+def test_every_labelled_document_counts(spark):
+    hashed = F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    late = F.when((F.col("place") > 4000) & (F.col("bad") == 1), F.lit(" rotten")).otherwise(F.lit(""))
+    docs = spark.range(5000).withColumnRenamed("id", "doc_id").withColumn("place", hashed).withColumn("bad", (F.xxhash64("doc_id", F.lit(3)) % 3 == 0).cast("int"))
+    docs = docs.select("doc_id", F.concat(F.lit("some words "), F.when(F.col("doc_id") % 5 == 0, "apple").otherwise("pear"), late).alias("text"), F.lit("en").alias("lang"), "bad").localCheckpoint()
+    ranker = quality.fit(docs, docs.select("doc_id", (1 - F.col("bad")).alias("quality"), F.lit(0).alias("toxic")))
+    rotten = quality._short(quality.word_hashes(np.frombuffer(b"rotten", np.uint8), np.array([0, 6]))[0])
+    assert np.isin(rotten, ranker.words).all() and ranker.word_weights[np.searchsorted(ranker.words, rotten)][0] < 0
+
+
+def test_gradient_is_that_of_all_pairs_held_or_not(spark):
+    draw = np.random.default_rng(6)
+    n, langs = 120, np.array(["a", "b", "c"])
+    name, good, fold = langs[draw.integers(0, 2, 120)], draw.integers(0, 2, 120), draw.integers(0, 2, 120)
+    name[:3], good[:3] = "c", 1  # a class is missing
+    x, own = draw.standard_normal((n, quality.N_DENSE)), [sorted(draw.choice(30, 6, replace=False).tolist()) for _ in range(n)]
+    rows = spark.createDataFrame([(str(a), int(b), int(c), d.tolist(), e) for a, b, c, d, e in zip(name, good, fold, x, own, strict=True)], "lang string, good int, fold int, x array<double>, words array<int>")
+    words = np.arange(20, dtype=np.uint32)
+    packed = quality.written(rows.mapInArrow(lambda b: quality._packed(b, words, np.zeros(9), np.ones(9), {"a": 0, "b": 1}), quality._PACKED))
+    features = np.hstack([[[float(i in o) for i in range(20)] for o in own], np.clip(x, -6, 6)])
+    w = draw.standard_normal((29, 3)) * 0.4
+    want = np.zeros((29, 3))
+    for m in range(3):
+        used = [np.flatnonzero((name == c) & (fold != m)) for c in "ab"]
+        for u in used:
+            b, v = (features[u[good[u] == k]] for k in (1, 0))
+            d = (b[:, None] - v[None]).reshape(-1, 29)
+            want[:, m] -= len(u) / sum(map(len, used)) * (d / (1 + np.exp(d @ w[:, m]))[:, None]).mean(0)
+    for held in (1 << 20, -1):
+        assert np.abs(quality._gradient(quality._passes(packed, held), w, 2) - want).max() < 2e-5
+    a, b = (quality._passes(packed, held)(lambda block: np.stack([quality._scores(block, w[:, m]) for m in range(3)], 1), True) for held in (1 << 20, -1))
+    assert np.allclose(np.sort(a[3], 0), np.sort(b[3], 0)) and np.allclose(np.sort(a[3], 0), np.sort(features @ w, 0), atol=1e-5)
