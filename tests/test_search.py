@@ -105,3 +105,65 @@ def test_plain_at_once(spark):
     texts = [f"{a}{c}{b}" for c in chars for a, b in (("Xo", "Yo."), (" ", "-\n"))] + [f"ΑΣ{c}Β ΟΣ{c} " for c in chars[:0x3100:7]]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.expr(plain_at_once(SPARK, "t")).alias("a"), F.expr(plain(SPARK, norm(SPARK, "t"))).alias("b"))
     assert df.where("NOT a <=> b").count() == 0
+
+
+def test_window_ratio_equals_difflib():
+    from difflib import SequenceMatcher
+
+    from inkstone.operators import quotes as q
+
+    def one_by_one(query, text):
+        at, best = text.find(query), (0.0, 0, 0)
+        if at >= 0:
+            return 0.91, at, at + len(query) - 1
+        if len(text) <= len(query):
+            return SequenceMatcher(None, query, text).ratio(), 0, max(0, len(text) - 1)
+        for s, size in q.windows(len(query), len(text)):
+            if (r := SequenceMatcher(None, query, text[s : s + size]).ratio()) > best[0]:
+                best = (r, s, s + size - 1)
+        return best
+
+    draw, pairs = random.Random(11), [("abc", ""), ("", "abc"), ("ab", "ba"), ("😀b😀" * 30, "b😀" * 80)]
+    for _ in range(60):
+        letters = draw.choice(["ab", "abcdefg", "etaoinshrdlucmfwygpb"])
+        query = "".join(draw.choices(letters, k=draw.choice([4, 30, 63, 64, 126, 150, 210])))
+        near = "".join(draw.choice(letters) if draw.random() < 0.2 else c for c in query if draw.random() > 0.1)
+        pairs.append((query, "".join(draw.choices(letters, k=draw.randint(0, 200))) + near * draw.randint(0, 1) + "".join(draw.choices(letters, k=draw.randint(0, 200)))))
+    want = [one_by_one(*p) for p in pairs]
+    assert q.best_windows(pairs) == want
+    assert q.best_windows(pairs, 0.58) == [w if w[0] >= 0.58 else (0.0, g[1], g[2]) for w, g in zip(want, q.best_windows(pairs, 0.58), strict=True)]
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                row[j], last = (last + 1 if x == y else max(row[j], row[j - 1])), row[j]
+        return row[-1]
+
+    some = [(a, b, q.windows(len(a), len(b))[:5]) for a, b in pairs[2:30]]
+    assert q.common(some) == [[lcs(a, b[s : s + n]) for s, n in parts] for a, b, parts in some]
+
+
+def test_few_windows_are_compared(monkeypatch):
+    """Of texts of one language hardly any window can reach the least ratio; each was compared before."""
+    from inkstone.operators import quotes as q
+
+    draw, calls, of = random.Random(2), [], q.matched
+    monkeypatch.setattr(q, "matched", lambda *x: calls.append(1) or of(*x))
+    texts = ["".join(draw.choices(WORDS, k=300)) for _ in range(20)]
+    pairs = [(t[:180], u) for t in texts for u in texts if t is not u]
+    assert not any(r >= 0.58 for r, *_ in q.best_windows(pairs, 0.58))
+    assert len(calls) < 0.05 * sum(len(q.windows(len(a), len(b))) for a, b in pairs)
+
+
+def test_fuzzy_quote_verifies_every_candidate(spark, odd):
+    from inkstone.operators import quotes as q
+
+    n, _ = overlaps(odd)
+    text = defaultdict(list)
+    for name, t in odd[1].sql(f"WITH {views(DUCK)} SELECT paragraph_id, plain FROM paragraphs").fetchall():
+        text[name].append(t)
+    queries = odd[1].sql(f"SELECT item_id, {plain(DUCK, norm(DUCK, 'text'))} FROM benchmark").fetchall()
+    want = [(a, i, b, name, r, min(0.9, r)) for i, t in queries for (item, name), k in n.items() if item == i and k and t for u in text[name] for r, a, b in [q.best_window(t, u)] if r >= 0.58]
+    assert rows("fuzzy_quote", spark, odd) == sorted(want, key=repr) != []
