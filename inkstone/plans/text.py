@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from ..functions import compact, invisible, norm, pdf, plain
-from ..registry import both
-from ..sources import views
-from .dialect import Spark
+from ..operators.grams import gram_counts
+from ..registry import both, given, query
+from ..sources import plains, views
+from .dialect import DUCK, SPARK, Spark
 
 
 def every_line(d: Spark, columns: str, where: str = "TRUE") -> str:
@@ -43,9 +46,10 @@ def norm_forms(d: Spark) -> str:
     return f"WITH {views(d)} SELECT paragraph_id, source_type, length(norm) AS n_norm, length(compact) AS n_compact, length(plain) AS n_plain, eligible FROM paragraphs"
 
 
-@both
-def ngram_counts(d: Spark) -> str:
-    return f"WITH {views(d)} SELECT gram, count(*) AS n FROM (SELECT plain FROM paragraphs WHERE eligible) p {d.unnest(d.grams('plain', 3), 'gram')} GROUP BY gram"
+@query(f"WITH {views(DUCK)} SELECT gram, count(*) AS n FROM (SELECT plain FROM paragraphs WHERE eligible) p {DUCK.unnest(DUCK.grams('plain', 3), 'gram')} GROUP BY gram")
+def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given(spark, sf_dir, "documents")
+    return gram_counts(spark.sql(f"WITH {views(SPARK)} {plains()}"), 3, each=False)
 
 
 @both

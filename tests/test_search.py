@@ -60,7 +60,7 @@ def overlaps(odd):
     return n, asked
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "trigram_and", "trigram_or_topk"])
+@pytest.mark.parametrize("name", ["bm25_topk", "gram_overlap", "ngram_counts", "trigram_and", "trigram_or_topk", "trigram_postings"])
 def test_odd_tables_equal_sql(spark, odd, name):
     assert rows(name, spark, odd) == wanted(name, odd) != []
 
@@ -167,3 +167,28 @@ def test_fuzzy_quote_verifies_every_candidate(spark, odd):
     queries = odd[1].sql(f"SELECT item_id, {plain(DUCK, norm(DUCK, 'text'))} FROM benchmark").fetchall()
     want = [(a, i, b, name, r, min(0.9, r)) for i, t in queries for (item, name), k in n.items() if item == i and k and t for u in text[name] for r, a, b in [q.best_window(t, u)] if r >= 0.58]
     assert rows("fuzzy_quote", spark, odd) == sorted(want, key=repr) != []
+
+
+@pytest.mark.parametrize("each", [False, True])
+def test_gram_counts_by_number_and_by_name(each):
+    """Few letters, more than a table holds, and both after one another equal counting one by one."""
+    from inkstone.operators.grams import Grams
+
+    draw = random.Random(4)
+    of = lambda first, n, k: ["".join(chr(first + draw.randrange(n)) for _ in range(draw.randrange(90))) for _ in range(k)]
+    for texts in (of(97, 26, 99), of(97, 26, 40) + of(0x400, 120, 60) + of(0x4E00, 5000, 60) + of(97, 9, 40) + ["aaaa", "a" * 300], ["ab", "", "abc", "abc"], of(0x1F300, 40, 50)):
+        grams = Grams(3, each)
+        for k in range(0, len(texts), 30):
+            grams.add(texts[k : k + 30])
+        got = grams.taken()
+        assert dict(zip(*(c.to_pylist() for c in got.columns), strict=True)) == Counter(g for t in texts for g in (set if each else list)(t[i : i + 3] for i in range(len(t) - 2)))
+        assert grams.taken().num_rows == 0
+
+
+def test_no_gram_is_a_row_before_it_is_counted(spark, odd):
+    """What is shuffled is a task's counts; grams were rows, and bigrams those of documents that no quote has the number of."""
+    for name in ("ngram_counts", "trigram_postings"):
+        plan = registry.QUERIES[name][0](spark, odd[0])._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate explode(" not in plan
+    registry.QUERIES["gram_overlap"][0](spark, odd[0])
+    assert {r[0] for r in spark.table("documents").select("doc_id").collect()} == {1, 2, 3, 4, 5, 61, 73}
